@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,7 +74,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES):
     """Zero-copy parts of a batch with about `limit` bytes of the column each; a longer text stands alone."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
