@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weightloom.llm import bpe, packing, token_files
+from weightloom.llm import bpe, licenses, media, packing, quality, simhash, token_files, urls, warc
 from weightloom.llm.common import documents, pages
 
 #: Where the vocabularies lie; a parameter of the operators.
@@ -18,17 +19,39 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), MULTI, public_tokenizers.PATTERN)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(documents(spark, sf_dir), WORDS)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the labels row of their number: blocked where quality is 0 or toxic is 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urls.judge(pages(spark, sf_dir), labels.withColumnRenamed("doc_id", "page_id"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(documents(spark, sf_dir), WORDS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_byte_bpe": op1_byte_bpe,
-    "op3_packing": op3_packing,
-    "op7_token_files": op7_token_files,
-}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(documents(spark, sf_dir))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(pages(spark, sf_dir)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_url_filters, op5_license_scan, op7_token_files, op8_simhash, op9_media, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
