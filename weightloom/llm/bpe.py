@@ -28,12 +28,14 @@ from weightloom.llm.common import ship, slices
 
 #: Pre-tokens in one generation of the memory.
 GENERATION = 250_000
+#: Odd multipliers that mix a hash with a displacement.
+SALT, MIX, _64 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings: n keys, n slots, one displacement for each bucket.
 
-    A key's 64-bit hash names its bucket and a start and step; the bucket's displacement picks the slot.
+    A key's 64-bit hash names its bucket; mixed anew with the bucket's displacement, it picks the slot.
     Buckets are placed by falling size; buckets of one key hold their slot itself, as its complement.
     """
 
@@ -43,7 +45,6 @@ class PerfectHash:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
         if len(np.unique(hashes)) != len(keys):
             raise ValueError("keys aren't distinct")
-        start, step = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
         bucket = (hashes % np.uint64(m)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(m + 1))
@@ -63,7 +64,7 @@ class PerfectHash:
                 tried = 0
                 while True:
                     d = np.arange(tried, tried + 64, dtype=np.uint64)[:, None]
-                    table = (start[members] + d * step[members]) % np.uint64(n)
+                    table = (((hashes[members] ^ (d * np.uint64(SALT))) * np.uint64(MIX)) >> np.uint64(32)) % np.uint64(n)
                     fits = ~taken[table.astype(np.int64)].any(axis=1)
                     fits &= (np.diff(np.sort(table, axis=1), axis=1) != 0).all(axis=1)
                     if fits.any():
@@ -84,7 +85,7 @@ class PerfectHash:
         """The key's number in the list it was built from, or -1."""
         h = xxhash.xxh64_intdigest(key)
         d = self.displaced[h % self.m]
-        slot = ~d if d < 0 else ((h & 0xFFFFFFFF) + d * ((h >> 32) | 1)) % self.n
+        slot = ~d if d < 0 else ((((h ^ (d * SALT & _64)) * MIX) & _64) >> 32) % self.n
         return self.index[slot] if self.keys[slot] == key else -1
 
 
