@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weightloom.llm import bpe, licenses, media, packing, quality, simhash, token_files, urls, warc
+from weightloom.llm import bpe, licenses, media, packing, quality, simhash, suffixes, token_files, urls, warc
 from weightloom.llm.common import documents, pages
 
 #: Where the vocabularies lie; a parameter of the operators.
@@ -37,6 +37,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(documents(spark, sf_dir), WORDS))
 
@@ -53,5 +57,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, warc.write(pages(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_url_filters, op5_license_scan, op7_token_files, op8_simhash, op9_media, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_url_filters, op5_license_scan, op6_suffix_dedup, op7_token_files, op8_simhash, op9_media, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
