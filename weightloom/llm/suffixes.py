@@ -5,8 +5,8 @@ meet in one task; consecutive windows of one minimizer travel as one piece of te
 a batch before they are shuffled, so a passage that many documents hold arrives a few times only. Groups with one
 document are left out.
 
-Pieces of several minimizers make a block. Its suffix array is built by prefix doubling, bounded by `length`; then
-intervals of the Burrows-Wheeler transform are extended backwards breadth-first, one byte a level, and only
+Pieces of several minimizers make a block. Its suffix array is built by prefix doubling, bounded by `length`; from
+level START, which the doubling passes, intervals of the Burrows-Wheeler transform are extended backwards breadth-first, one byte a level, and only
 intervals with two or more documents are kept. Those left at level `length` are the repeated strings, and the smallest
 key in each is its first document. Documents find the first documents of their pieces by an equality join on a
 128-bit digest of the piece. A block holds at least one whole minimizer group, which bounds its memory from below.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from weightloom.llm.common import ship, shuffle_partitions, slices, work_dir
 
 GRAM, BLOCK, LAST = 16, 4 << 20, (1 << 63) - 1
+#: Level from which intervals are extended; the doubling has those of 7 and 14 symbols at hand.
+START = 14
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
 
 
@@ -57,19 +59,24 @@ def pieces(raw: bytes, length: int) -> Iterator[tuple[int, int, int]]:
         yield h, a, b + length - 1
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first `depth` symbols at least. text: symbols below 512, 0 past the end."""
-    n, reach = len(text), 7
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes by their first `depth` symbols at least, and each one's rank by its first START.
+
+    text: symbols below 512, 0 past the end. Suffixes that are equal so far may come in any order.
+    """
+    n, reach, early = len(text), 7, None
     ext = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = (key << 9) | ext[k : k + n]
     while True:
-        order = np.argsort(key, kind="stable")
-        if reach >= depth:
-            return order
+        order = np.argsort(key)
+        if reach >= depth and early is not None:
+            return order, early
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[1], np.cumsum(np.diff(key[order]) != 0) + 1])
+        if reach == START:
+            early = rank
         later = np.zeros(n, np.int64)
         later[: max(0, n - reach)] = rank[reach:]
         key, reach = rank * (n + 1) + later, reach * 2
@@ -83,18 +90,19 @@ def first_documents(parts: list[bytes], low: list[int], high: list[int], length:
     sizes = np.array([len(p) + 1 for p in parts])
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 1
     text[np.cumsum(sizes) - 1] = 0
-    order = suffix_array(text, length)
+    order, early = suffix_array(text, length)
     n = len(text)
+    room = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(n)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     before = text[order - 1]
     step = place[order - 1]
     least, most = np.repeat(np.array(low), sizes)[order], np.repeat(np.array(high), sizes)[order]
-    rows = np.flatnonzero(text[order] != 0)
-    name = text[order][rows]
+    rows = np.flatnonzero(room[order] >= START)
+    name = early[order[rows]]
     interval = np.empty(n, np.int64)
     held = np.zeros(n, bool)
-    level, smallest = 1, np.empty(0, np.int64)
+    level, smallest = START, np.empty(0, np.int64)
     while len(rows):
         edges = np.concatenate([[True], name[1:] != name[:-1]])
         heads = np.flatnonzero(edges)
