@@ -1,12 +1,13 @@
 """Quality rules: word and line statistics of a text, and lines that recur across the documents of a host.
 
 Lines are normalised (white space, case) and hashed; for each host the distinct texts that hold a line are counted, so
-exact copies count once. Lines above the limits are removed; a document that loses too much of itself is rejected.
-The limits grow with the host: a line must stand in over `min_docs` texts and over `share` of the host's texts.
+exact copies count once. Lines in over `min_docs` texts of a host, however many it has, are removed; a document that
+loses too much of itself is rejected. A `share` of the host's texts can be demanded besides. Of the texts that would
+be rejected for this alone, the one with the smallest key that holds a line keeps it, so one of near copies stays.
 
 Only DataFrame functions are used. A line counts once per text before anything is shuffled, and partial sums keep a
-frequent line from filling a task. Hosts' frequent lines number at most (lines per text / share); they are broadcast
-only if their measured number is below a bound, else joined.
+frequent line from filling a task. Frequent lines, and those each text loses, are broadcast only if their measured
+number is below a bound, else joined.
 
 Null texts have no words and fail; an empty table gives an empty result; null hosts are a host of their own; repeated
 rows are judged alike; extra columns pass through `clean` and are dropped by `judge`.
@@ -21,7 +22,7 @@ from weightloom.llm.common import work_dir
 
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Frequent lines of all hosts together up to which they are broadcast: about 8 MB.
+#: Lines, frequent or lost by texts, up to which they are broadcast: about 8 MB of hashes.
 BROADCAST_LINES = 1_000_000
 
 
@@ -80,28 +81,67 @@ def line_key(line: Column) -> Column:
     return F.when(line.rlike(WORD), F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, GAP, " ")))))
 
 
-def frequent_lines(df: DataFrame, min_docs: int = 50, share: float = 0.2, text: str = "text", host: str = "source") -> DataFrame:
-    """Rows (host, frequent): the hashes of each host's lines above the limits, written once and read again."""
+def texts_of(df: DataFrame, text: str, host: str, key: str) -> DataFrame:
+    """Rows (host, t, id, lines: [(k, n)]): each host's distinct texts by hash, their smallest key, and each line's hash and words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    keys = F.array_distinct(F.array_compact(F.transform(F.split(t, "\n"), line_key)))
-    texts = df.select(F.col(host).alias("host"), F.xxhash64(t).alias("t"), keys.alias("lines"))
-    texts = texts.groupBy("host", "t").agg(F.first("lines").alias("lines"))
-    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    totals = df.select(F.col(host).alias("host"), F.xxhash64(t).alias("t")).distinct().groupBy("host").agg(F.count("*").alias("total"))
-    counts = counts.filter(F.col("n") > min_docs).alias("c").join(totals.alias("h"), F.expr("c.host <=> h.host"))
-    found = counts.filter(F.col("n") > F.lit(share) * F.col("total")).groupBy("c.host").agg(F.collect_set("line").alias("frequent"))
-    path = work_dir(df.sparkSession, "lines")
-    found.write.parquet(path)
-    return df.sparkSession.read.schema("host string, frequent array<bigint>").parquet(path)
-
-
-def marked(df: DataFrame, min_docs: int = 50, share: float = 0.2, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows with a column _frequent: the hashes of their host's frequent lines."""
-    found = frequent_lines(df, min_docs, share, text, host)
-    size = found.agg(F.coalesce(F.sum(F.size("frequent")), F.lit(0))).first()[0]
-    found = found.select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent"))
-    side = F.broadcast(found) if size <= BROADCAST_LINES else found
-    return df.join(side, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    found = F.transform(F.split(t, "\n"), lambda x: F.struct(line_key(x).alias("k"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    rows = df.select(F.col(host).alias("host"), F.xxhash64(t).alias("t"), (F.col(key) if key in df.columns else F.lit(0)).alias("id"), F.filter(found, lambda x: x["k"].isNotNull()).alias("lines"))
+    return rows.groupBy("host", "t").agg(F.min("id").alias("id"), F.first("lines").alias("lines"))
+
+
+def frequent_lines(texts: DataFrame, min_docs: int = 50, share: float = 0.2) -> DataFrame:
+    """Rows (host, line): the hashes of each host's lines above the limits, of the rows of texts_of."""
+    counts = texts.select("host", F.explode(F.array_distinct("lines.k")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
+    if share:
+        totals = texts.groupBy("host").agg(F.count("*").alias("total")).alias("h")
+        counts = counts.alias("c").join(totals, F.expr("c.host <=> h.host")).filter(F.col("n") > F.lit(share) * F.col("total")).select("c.host", "line")
+    return counts.select("host", "line")
+
+
+def same(x: str, y: str, *names: str) -> Column:
+    """Whether two aliased sides agree in the host, null or not, and in the names."""
+    return F.expr(" and ".join([f"{x}.host <=> {y}.host", *(f"{x}.{n} = {y}.{n}" for n in names)]))
+
+
+def side(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_LINES else df
+
+
+def total(df: DataFrame, column: Column) -> int:
+    return df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+
+
+def marked(df: DataFrame, min_docs: int, share: float, max_lost: float, text: str, host: str, key: str) -> DataFrame:
+    """The rows with a column _frequent: the hashes of the lines that they lose."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession, "lines")
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+    texts = stored(texts_of(df, text, host, key), "texts")
+    lines = stored(frequent_lines(texts, min_docs, share), "frequent")
+    spread = texts.select("host", "t", "id", F.aggregate("lines.n", F.lit(0), lambda a, x: a + x).alias("words"), F.explode("lines").alias("x")).select("host", "t", "id", "words", F.col("x.k").alias("line"), F.col("x.n").alias("n")).alias("s")
+    hit = spread.join(side(lines, lines.count()).alias("f"), same("s", "f", "line")).select("s.*")
+    hit = stored(hit.groupBy("host", "t").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.sum("n").alias("lost"), F.collect_set("line").alias("lines")), "hit")
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    # A line of a text that would go for its lost words stays in the one with the smallest key, so one of near copies stays.
+    poor = hit.filter(F.col("words") - F.col("lost") < (1 - max_lost) * F.col("words")).filter("words >= 20")
+    rows = df.select(F.col(host).alias("host"), own.alias("t"), F.col(text).alias("text")).alias("r")
+    rows = rows.join(side(poor.select("host", "t"), poor.count()).alias("p"), same("r", "p", "t")).select("r.*")
+    sound = rows.filter(~base_failed({k: statistics(F.col("text"))[k] for k in ("n_words", "n_repeat_words")})).select("host", "t").distinct()
+    sound = stored(sound, "sound")
+    poor = poor.alias("p").join(sound.alias("r"), same("p", "r", "t"), "left_semi")
+    first = poor.select("host", "t", "id", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.min(F.struct("id", "t"))["t"].alias("t"))
+    held = first.groupBy("host", "t").agg(F.collect_set("line").alias("held")).alias("h")
+    lost = hit.alias("x").join(held, same("x", "h", "t"), "left").select("x.host", "x.t", F.array_except("lines", F.coalesce("held", F.array().cast("array<bigint>"))).alias("frequent"))
+    lost = stored(lost.filter(F.size("frequent") > 0), "lost")
+    found = side(lost.select(F.col("host").alias("_host"), F.col("t").alias("_t"), F.col("frequent").alias("_frequent")), total(lost, F.size("frequent")))
+    return df.withColumn("_own", own).join(found, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_own") == F.col("_t")), "left").drop("_host", "_t", "_own")
+
+
+def base_failed(found: dict[str, Column]) -> Column:
+    return (found["n_words"] < 20) | (100 * found["n_repeat_words"] > 30 * found["n_words"])
 
 
 def kept_text(text: Column, frequent: Column) -> Column:
@@ -113,12 +153,12 @@ def kept_text(text: Column, frequent: Column) -> Column:
     return F.when(frequent.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
 
 
-def judged(df: DataFrame, min_docs: int, share: float, max_lost: float, text: str, host: str) -> DataFrame:
-    rows = marked(df, min_docs, share, text, host)
+def judged(df: DataFrame, min_docs: int, share: float, max_lost: float, text: str, host: str, key: str) -> DataFrame:
+    rows = marked(df, min_docs, share, max_lost, text, host, key)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = rows.withColumn("_clean", kept_text(t, F.col("_frequent"))).withColumns({f"_{k}": c for k, c in statistics(F.col(text)).items()})
     left = F.when(F.col("_frequent").isNull(), F.col("_n_words")).otherwise(F.regexp_count(F.col("_clean"), F.lit(WORD)))
-    failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
+    failed = base_failed({k: F.col(f"_{k}") for k in ("n_words", "n_repeat_words")})
     rows = rows.withColumn("_base_failed", failed).withColumn("_left", left.cast("long"))
     return rows.withColumn("_kept", ~F.col("_base_failed") & (F.col("_left") >= (1 - max_lost) * F.col("_n_words")))
 
@@ -126,10 +166,10 @@ def judged(df: DataFrame, min_docs: int, share: float, max_lost: float, text: st
 def judge(df: DataFrame, min_docs: int = 50, share: float = 0.2, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_left)."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged(df, min_docs, share, max_lost, text, host).select(key, *[F.col(f"_{n}").alias(n) for n in names], F.col("_left").alias("n_words_left"))
+    return judged(df, min_docs, share, max_lost, text, host, key).select(key, *[F.col(f"_{n}").alias(n) for n in names], F.col("_left").alias("n_words_left"))
 
 
-def clean(df: DataFrame, min_docs: int = 50, share: float = 0.2, max_lost: float = 0.75, text: str = "text", host: str = "source") -> DataFrame:
+def clean(df: DataFrame, min_docs: int = 50, share: float = 0.2, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows kept, in the table's own columns, without their frequent lines."""
-    rows = judged(df, min_docs, share, max_lost, text, host).filter("_kept")
+    rows = judged(df, min_docs, share, max_lost, text, host, key).filter("_kept")
     return rows.select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in df.columns])
