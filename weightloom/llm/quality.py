@@ -89,7 +89,7 @@ def texts_of(df: DataFrame, text: str, host: str, key: str) -> DataFrame:
     return rows.groupBy("host", "t").agg(F.min("id").alias("id"), F.first("lines").alias("lines"))
 
 
-def frequent_lines(texts: DataFrame, min_docs: int = 50, share: float = 0.2) -> DataFrame:
+def frequent_lines(texts: DataFrame, min_docs: int = 5, share: float = 0.0) -> DataFrame:
     """Rows (host, line): the hashes of each host's lines above the limits, of the rows of texts_of."""
     counts = texts.select("host", F.explode(F.array_distinct("lines.k")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_docs)
     if share:
@@ -163,13 +163,13 @@ def judged(df: DataFrame, min_docs: int, share: float, max_lost: float, text: st
     return rows.withColumn("_kept", ~F.col("_base_failed") & (F.col("_left") >= (1 - max_lost) * F.col("_n_words")))
 
 
-def judge(df: DataFrame, min_docs: int = 50, share: float = 0.2, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+def judge(df: DataFrame, min_docs: int = 5, share: float = 0.0, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_left)."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged(df, min_docs, share, max_lost, text, host, key).select(key, *[F.col(f"_{n}").alias(n) for n in names], F.col("_left").alias("n_words_left"))
 
 
-def clean(df: DataFrame, min_docs: int = 50, share: float = 0.2, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+def clean(df: DataFrame, min_docs: int = 5, share: float = 0.0, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows kept, in the table's own columns, without their frequent lines."""
     rows = judged(df, min_docs, share, max_lost, text, host, key).filter("_kept")
     return rows.select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in df.columns])
