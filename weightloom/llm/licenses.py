@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased and cut into words, which are joined by single spaces. Signatures are regexes over that form,
-gated by keywords: a signature runs only where its keyword occurs. Detections are intervals of words. They are taken by
+gated by keywords: a signature runs only where one of its keywords occurs. Detections are intervals of words. They are taken by
 priority, then length, then place; one that lies inside an interval taken before is suppressed.
 
 Base phrases are found apart from the signatures, at every place, and their labels always stay.
@@ -27,9 +27,9 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label, keyword, and regex of the name, in order of priority within a form.
+#: Label, keywords (every match of the regex holds one), and regex of the name, in order of priority within a form.
 NAMES = [
-    ("agpl-3", "affero", r"(?:gnu )?(?:affero general public license|agpl)(?: v| version)? ?3(?: 0)?"),
+    ("agpl-3", "affero|agpl", r"(?:gnu )?(?:affero general public license|agpl)(?: v| version)? ?3(?: 0)?"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: v| version)? ?2 1"),
     ("lgpl-3", "lesser", r"(?:gnu )?lesser general public license(?: v| version)? ?3(?: 0)?"),
     ("gpl-2", "general public", r"(?:gnu )?general public license(?: v| version)? ?2(?: 0)?"),
@@ -47,7 +47,7 @@ NAMES = [
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", r"bsd(?: style)?"),
     ("isc", "isc", r"isc"),
-    ("mit", "mit", r"(?:mit|expat|x11 mit)"),
+    ("mit", "mit|expat", r"(?:mit|expat|x11 mit)"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("bsl-1", "boost", r"boost software license"),
     ("artistic-2", "artistic", r"artistic license(?: v| version)? ?2(?: 0)?"),
@@ -60,7 +60,7 @@ NAMES = [
     ("cc-by-sa", "cc by sa", r"cc by sa(?: \d 0)?"),
     ("cc-by-nd", "cc by nd", r"cc by nd(?: \d 0)?"),
     ("cc-by", "cc by", r"cc by(?: \d 0)?"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial"),
+    ("cc-by-nc", "noncommercial|non commercial", r"creative commons attribution non ?commercial"),
     ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike"),
     ("cc-by", "creative commons", r"creative commons attribution"),
     ("odbl", "open database", r"open database license"),
@@ -83,9 +83,9 @@ FORMS = [
 
 
 @lru_cache(maxsize=1)
-def signatures() -> list[tuple[str, str, regex.Pattern, float, int]]:
-    """(label, keyword, pattern, score, priority): every form of every name."""
-    return [(label, word, regex.compile(rf"(?<= )(?:{form.format(name)})(?= )"), score, p * len(NAMES) + n) for p, (form, score) in enumerate(FORMS) for n, (label, word, name) in enumerate(NAMES)]
+def signatures() -> list[tuple[str, tuple[str, ...], regex.Pattern, float, int]]:
+    """(label, keywords, pattern, score, priority): every form of every name."""
+    return [(label, tuple(words.split("|")), regex.compile(rf"(?<= )(?:{form.format(name)})(?= )"), score, p * len(NAMES) + n) for p, (form, score) in enumerate(FORMS) for n, (label, words, name) in enumerate(NAMES)]
 
 
 @lru_cache(maxsize=1)
@@ -93,14 +93,14 @@ def base_patterns() -> list[tuple[str, regex.Pattern]]:
     return [(label, regex.compile(rf"(?<= ){phrase}(?= )")) for phrase, label in BASE.items()]
 
 
-def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, float]]]:
+def scan(text: str | None, gated: bool = True) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str, float]]]:
     """Number of words, base places (first word, label), detections (first word, end word, label, score)."""
     found = _WORDS((text or "").translate(_UPPER))
     form = f" {' '.join(found)} "
     base = [(m.start(), label) for label, p in base_patterns() for m in p.finditer(form, overlapped=True)]
-    keywords = {word for _, word, *_ in signatures()}
+    keywords = {word for _, words, *_ in signatures() for word in words}
     present = {word for word in keywords if word in form}
-    hits = [(priority, m.start() - m.end(), m.start(), m.end(), label, score) for label, word, p, score, priority in signatures() if word in present for m in p.finditer(form)]
+    hits = [(priority, m.start() - m.end(), m.start(), m.end(), label, score) for label, words, p, score, priority in signatures() if not gated or not present.isdisjoint(words) for m in p.finditer(form)]
     taken = suppress(sorted(hits))
     marks = sorted({x for x, _ in base} | {x for hit in taken for x in hit[:2]})
     at, seen, word_of = 0, 0, {}
