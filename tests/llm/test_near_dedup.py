@@ -57,3 +57,10 @@ def test_a_large_group_is_one(spark):
         copy[rng.randrange(200)] = f"y{i}"
         texts.append((i, " ".join(copy)))
     assert [r.doc_id for r in jaccard.representatives(table(spark, texts)).collect()] == [0]
+
+
+def test_rows_without_an_id(spark):
+    words = [[f"{g}w{i}" for i in range(60)] for g in "abc"]
+    texts = [(None, " ".join(words[0])), (None, " ".join(words[0])), (None, " ".join([*words[0], "end"])), (None, " ".join(words[1])), (4, " ".join([*words[1], "end"])), (None, " ".join(words[2]))]
+    got = [(r.doc_id, r.text.split()[0]) for r in corpus_pipeline.near_dedup(spark, table(spark, texts), "").collect()]
+    assert sorted(got, key=str) == [(4, "bw0"), (None, "aw0"), (None, "cw0")]
