@@ -89,11 +89,11 @@ class PerfectHash:
         return self.index[slot] if self.keys[slot] == key else -1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of the lowest rank is merged first, of equal ranks the leftmost."""
+def merge(piece: bytes, ranks: dict[bytes, int], parts: bool = False) -> list:
+    """Ids of one pre-token, or its parts: the pair of the lowest rank is merged first, of equal ranks the leftmost."""
     n, rank_of = len(piece), ranks.get
     if n < 2:
-        return [ranks[piece]] if n else []
+        return [piece if parts else ranks[piece]] if n else []
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     best = [-1] * n
     heap = []
@@ -129,11 +129,11 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             else:
                 best[p] = r
                 push(heap, r * n + p)
-    ids, i = [], 0
+    ends, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
+        ends.append((i, after[i]))
         i = after[i]
-    return ids
+    return [piece[a:b] for a, b in ends] if parts else [ranks[piece[a:b]] for a, b in ends]
 
 
 class Resolved(dict):
