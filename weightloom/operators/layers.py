@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from weightloom.operators import dedup
 
 
-def statistics(df: DataFrame) -> DataFrame:
-    """df: (model_id, name, hash, size)."""
+def parsed(df: DataFrame) -> DataFrame:
+    """The rows with layer (its number, null outside layers) and kind (the rest of a layer tensor's name, else the name)."""
     parts = F.split("name", r"\.")
     inside = F.col("name").rlike(r"^model[.]layers[.][0-9]+([.]|$)")
-    rows = df.withColumn("layer", F.when(inside, F.get(parts, F.lit(2))).otherwise(F.col("name")))
-    rows = rows.withColumn("kind", F.when(inside, F.array_join(F.slice(parts, 4, 1000), ".")).otherwise(F.col("name")))
-    rows = rows.withColumn("item", F.concat_ws(":", "kind", "hash"))
-    items = rows.groupBy("model_id", "layer").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("item")), "|"), 256).alias("hash"), F.sum("size").alias("size"))
-    return dedup.statistics(items, "hash", "size")
+    rest = F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), ".")
+    number = F.get(parts, F.lit(2)).try_cast("decimal(38,0)")
+    return df.withColumn("layer", F.when(inside, number)).withColumn("kind", F.when(inside, rest).otherwise(F.col("name")))
+
+
+def items(df: DataFrame) -> DataFrame:
+    """Rows (model_id, layer, other, hash, size): one for each layer, and for each tensor outside. A layer's hash is made of its sorted parts.
+
+    A layer's tensors are a few dozen by nature, so they are gathered in a list.
+    """
+    rows = parsed(df).withColumn("other", F.when(F.col("layer").isNull(), F.col("name")))
+    item = F.concat_ws(":", "kind", "hash")
+    return rows.groupBy("model_id", "layer", "other").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(item)), "|"), 256).alias("hash"), F.sum("size").alias("size"))
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """df: (model_id, name, hash, size)."""
+    return dedup.statistics(items(df), "hash", "size")

@@ -19,8 +19,8 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("source").alias("model_id"), F.col("lang").alias("file_name"), F.col("doc_id").alias("tensor_name"), F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
 
 
-_BLOBS = "b AS (SELECT source AS model_id, lang AS file_name, doc_id AS tensor_name, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents)"
-_FIRSTS = f"{_BLOBS}, f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY model_id, file_name, tensor_name) > 1 AS is_duplicate FROM b)"
+BLOBS = "b AS (SELECT source AS model_id, lang AS file_name, doc_id AS tensor_name, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents)"
+_FIRSTS = f"{BLOBS}, f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY model_id, file_name, tensor_name) > 1 AS is_duplicate FROM b)"
 
 
 def tensor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,22 +44,22 @@ def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's file is the list of its tensors; its hash is made from theirs."""
-    files = blobs(spark, sf_dir).groupBy("model_id", "file_name").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), "|"), 256).alias("hash"), F.sum("size").alias("size"))
-    return dedup.statistics(files, "hash", "size")
+    """A model's file is the set of its tensors; its hash is made from theirs without gathering them."""
+    return dedup.statistics(reports.file_items(blobs(spark, sf_dir), ["model_id", "file_name"]), "hash", "size")
 
 
 def layer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers of eight tensors each, named after their number within the model."""
+    """Layers of 160 tensors each, named after their number within the model."""
     rows = blobs(spark, sf_dir).withColumn("name", F.format_string("model.layers.%d.mlp.%d", F.expr("tensor_name div 160"), F.expr("tensor_name % 160")))
     return layers.statistics(rows)
 
 
 def lineage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order's first line number are the base; the others pair with it by order where the part is equal."""
+    """Each order's least line is the base, all its other lines pair with it where the part's parity is equal."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("size"))
-    base = rows.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("name"), (F.col("part") % 2).alias("dtype"), "size")
-    tuned = rows.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("name"), (F.col("part") % 2).alias("dtype"), "size")
+    rows = rows.select(F.col("l_orderkey").alias("name"), F.col("l_linenumber").alias("line"), (F.col("part") % 2).alias("dtype"), "size")
+    first = rows.groupBy("name").agg(F.min("line").alias("line"))
+    base, tuned = rows.join(first, ["name", "line"], "left_semi"), rows.join(first, ["name", "line"], "left_anti")
     return pairing.pair(tuned, base, ["dtype"]).groupBy("codec").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
@@ -72,7 +72,7 @@ def lineage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as encodings: the type is the codec, value the compressed size."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.groupBy(F.col("event_type").alias("codec")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("compressed"))
+    return rows.groupBy(F.col("event_type").alias("codec")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("compressed"))
 
 
 def header_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,15 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _STATS = "SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS uniques, count(*) / sum(n) AS unique_ratio, max(size) AS max_size, avg(size) AS avg_size, CAST(sum(size) AS BIGINT) AS unique_size, CAST(sum(size * (n - 1)) AS BIGINT) AS saved FROM u"
 _REDUCTION = "r AS (SELECT model_id, count(*) AS n, CAST(sum(is_duplicate::INT) AS BIGINT) AS duplicates, CAST(sum(size) AS BIGINT) AS original, CAST(sum(CASE WHEN is_duplicate THEN 0 ELSE size END) AS BIGINT) AS stored FROM f GROUP BY 1)"
 ORACLE_SQL = {
-    "tensor_dedup": f"WITH {_BLOBS}, u AS (SELECT hash, count(*) AS n, max(size) AS size FROM b GROUP BY 1) {_STATS}",
+    "tensor_dedup": f"WITH {BLOBS}, u AS (SELECT hash, count(*) AS n, max(size) AS size FROM b GROUP BY 1) {_STATS}",
     "dedup_marks": f"WITH {_FIRSTS} SELECT tensor_name, is_duplicate FROM f",
     "reduction_by_model": f"WITH {_FIRSTS}, {_REDUCTION} SELECT *, 1 - stored / original AS reduction FROM r",
     "cumulative_reduction": f"WITH {_FIRSTS}, {_REDUCTION}, c AS (SELECT model_id, CAST(sum(original) OVER w AS BIGINT) AS original, CAST(sum(stored) OVER w AS BIGINT) AS stored FROM r WINDOW w AS (ORDER BY model_id)) SELECT *, 1 - stored / original AS reduction FROM c",
-    "metadata_projection": f"WITH {_BLOBS}, u AS (SELECT hash, count(*) AS n, max(size) AS size FROM b GROUP BY 1) SELECT count(*) AS uniques, count(*) * 64 / 1048576 AS metadata_mb, count(*) * 64 / 1048576 * (17 * 1024) / 74.79::DOUBLE AS hub_gb FROM u",
-    "file_dedup": f"WITH {_BLOBS}, g AS (SELECT model_id, file_name, sha256(string_agg(hash, '|' ORDER BY hash)) AS hash, sum(size) AS size FROM b GROUP BY 1, 2), u AS (SELECT hash, count(*) AS n, CAST(max(size) AS BIGINT) AS size FROM g GROUP BY 1) {_STATS}",
-    "layer_dedup": f"WITH {_BLOBS}, g AS (SELECT model_id, tensor_name // 160 AS layer, sha256(string_agg('mlp.' || (tensor_name % 160) || ':' || hash, '|' ORDER BY 'mlp.' || (tensor_name % 160) || ':' || hash)) AS hash, sum(size) AS size FROM b GROUP BY 1, 2), u AS (SELECT hash, count(*) AS n, CAST(max(size) AS BIGINT) AS size FROM g GROUP BY 1) {_STATS}",
-    "lineage_pairs": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) % 2 AS dtype, sum(l_quantity) AS size FROM lineitem GROUP BY 1, 2) SELECT CASE WHEN b.dtype = t.dtype THEN 'pair' ELSE 'solo' END AS codec, count(*) AS n, sum(t.size) AS size FROM l t LEFT JOIN l b ON b.l_orderkey = t.l_orderkey AND b.l_linenumber = 1 WHERE t.l_linenumber = 2 GROUP BY 1",
+    "metadata_projection": f"WITH {BLOBS}, u AS (SELECT hash, count(*) AS n, max(size) AS size FROM b GROUP BY 1) SELECT count(*) AS uniques, count(*) * 64 / 1048576 AS metadata_mb, count(*) * 64 / 1048576 * (17 * 1024) / 74.79::DOUBLE AS hub_gb FROM u",
+    "file_dedup": f"WITH {BLOBS}, g AS (SELECT model_id, file_name, sha256(string_agg(hash, '|' ORDER BY hash)) AS hash, sum(size) AS size FROM b GROUP BY 1, 2), u AS (SELECT hash, count(*) AS n, CAST(max(size) AS BIGINT) AS size FROM g GROUP BY 1) {_STATS}",
+    "layer_dedup": f"WITH {BLOBS}, g AS (SELECT model_id, tensor_name // 160 AS layer, sha256(string_agg('mlp.' || (tensor_name % 160) || ':' || hash, '|' ORDER BY 'mlp.' || (tensor_name % 160) || ':' || hash)) AS hash, sum(size) AS size FROM b GROUP BY 1, 2), u AS (SELECT hash, count(*) AS n, CAST(max(size) AS BIGINT) AS size FROM g GROUP BY 1) {_STATS}",
+    "lineage_pairs": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) % 2 AS dtype, sum(l_quantity) AS size FROM lineitem GROUP BY 1, 2), f AS (SELECT *, l_linenumber = min(l_linenumber) OVER (PARTITION BY l_orderkey) AS is_base FROM l) SELECT CASE WHEN b.dtype = t.dtype THEN 'pair' ELSE 'solo' END AS codec, count(*) AS n, sum(t.size) AS size FROM f t JOIN f b ON b.l_orderkey = t.l_orderkey AND b.is_base WHERE NOT t.is_base GROUP BY 1",
     "lineage_map": "SELECT n_name AS model_id, r_name AS base_model_id FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL FROM region",
-    "codec_statistics": "SELECT event_type AS codec, count(*) AS n, round(sum(value), 2) AS compressed FROM events GROUP BY 1",
+    "codec_statistics": "SELECT event_type AS codec, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS compressed FROM events GROUP BY 1",
     "header_entries": "WITH e AS (SELECT unnest(json_keys(props)) AS name, props FROM events) SELECT name, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.' || name) AS BIGINT)) AS BIGINT) AS total FROM e WHERE name <> '__metadata__' GROUP BY 1",
 }
