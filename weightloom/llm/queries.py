@@ -28,9 +28,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled by the labels row of their number: blocked where quality is 0 or toxic is 1."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
-    return urls.judge(pages(spark, sf_dir), labels.withColumnRenamed("doc_id", "page_id"))
+    """Pages are labelled by a check of their html; rules are mined from the labelled URLs and judge all."""
+    return urls.judge(pages(spark, sf_dir), urls.html_labels(pages(spark, sf_dir)))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
