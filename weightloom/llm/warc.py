@@ -7,10 +7,14 @@ manifest row; what no manifest row names doesn't count, so a lost attempt can't
 
 Of records with equal payloads of at least `least` bytes, that with the largest key is the response and others revisit
 it; smaller payloads are always responses. Payloads are compared by digest and length, on narrow rows, with partial
-maxima first; the payloads move once, in the sort, where the revisit notes of a key meet its rows.
-
-Null payloads are empty, null URLs have no target. Rows that repeat the largest key of a payload are all responses.
-Null keys aren't allowed to name records: they fail. Extra columns are ignored; an empty table writes no files.
+maxima first; the payloads move once, in the sort by (key, digest), where the revisit note of a key and digest meets its
+rows; so a key that many rows repeat is split over tasks too.
+
+Null payloads are empty, null URLs have no target. Rows that repeat the largest key of a payload are all responses, of
+other rows that repeat a key each has a record. Null keys sort first and count as the smallest: such a record has an
+identifier made from its digest and URL and no key; it revisits a keyed record of its payload, without one it is a response.
+A very long payload is one record, held whole. Extra columns are ignored; an empty table writes no files. Which records
+share a file depends on the rows and on the number of shuffle partitions, nothing else.
 """
 
 from __future__ import annotations
@@ -34,20 +38,22 @@ _MANIFEST = "name string, first long, n_records long, n_bytes long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(key: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, str(key))}>"
+def record_id(key: int | None, other: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'null {other}' if key is None else str(key))}>"
 
 
-def record(key: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member. Its content depends on the arguments alone."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key, f'{digest} {url}')}", f"WARC-Date: {DATE}"]
     target = "".join((url or "").split())
     if target:
         lines.append(f"WARC-Target-URI: {target}")
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Record-Key: {key}"]
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if key is not None:
+        lines.append(f"X-Record-Key: {key}")
     if refers_to is not None:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
     else:
@@ -77,36 +83,34 @@ def write(df: DataFrame, out: str | None = None, limit: int = 64 << 20, least: i
     ship(spark)
     out = out or work_dir(spark, "warc")
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.cast("binary").alias("payload"))
-    narrow = rows.filter(F.octet_length("payload") >= least).select("key", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
+    narrow = rows.filter(F.octet_length("payload") >= least).select("key", "digest", F.octet_length("payload").alias("n"))
     narrow.write.mode("overwrite").parquet(f"{out}/digests")
     narrow = spark.read.parquet(f"{out}/digests")
     last = narrow.groupBy("digest", "n").agg(F.max("key").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    notes = narrow.join(last, ["digest", "n"]).filter("key < refers_to").select("key", "digest", "refers_to")
+    notes = narrow.join(last, ["digest", "n"]).filter("key < refers_to or (key is null and refers_to is not null)").select("key", "digest", "refers_to")
     notes.distinct().write.mode("overwrite").parquet(f"{out}/revisits")
     notes = spark.read.parquet(f"{out}/revisits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = open_fs(out)
-        noted_key, noted = None, {}
+        noted = note = None
         sink = temporary = digest = None
         first = count = size = 0
 
         def close() -> pa.RecordBatch:
             sink.close()
-            name = f"{first:020d}-{digest.hexdigest()[:16]}.warc.gz"
+            name = f"{'null' if first is None else f'{first:020d}'}-{digest.hexdigest()[:16]}.warc.gz"
             fs.move(temporary, f"{at}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["name", "first", "n_records", "n_bytes"])
 
         for whole in batches:
             for b in slices(whole, "payload"):
                 for k, u, p, d, r in zip(*(b.column(n).to_pylist() for n in ("key", "url", "payload", "digest", "refers_to")), strict=True):
-                    if noted_key != k:
-                        noted_key, noted = k, {}
-                    if d is not None:
-                        noted[d] = r
+                    if r is not None:
+                        noted, note = (k, d), r
                         continue
-                    member = record(k, u, p, noted.get(hashlib.sha1(p).hexdigest()) if noted else None)
+                    member = record(k, u, p, note if noted == (k, d) else None)
                     if sink is not None and size + len(member) > limit:
                         yield close()
                         sink = None
@@ -122,8 +126,8 @@ def write(df: DataFrame, out: str | None = None, limit: int = 64 << 20, least: i
 
     empty = F.lit(None)
     both = notes.select("key", empty.cast("string").alias("url"), empty.cast("binary").alias("payload"), "digest", "refers_to")
-    both = both.unionByName(rows.select("key", "url", "payload", empty.cast("string").alias("digest"), empty.cast("long").alias("refers_to")))
-    both = both.repartitionByRange(shuffle_partitions(spark), "key").sortWithinPartitions(F.col("key"), F.col("digest").asc_nulls_last(), "url", "payload")
+    both = both.unionByName(rows.select("key", "url", "payload", "digest", empty.cast("long").alias("refers_to")))
+    both = both.repartitionByRange(shuffle_partitions(spark), "key", "digest").sortWithinPartitions("key", "digest", F.col("refers_to").asc_nulls_last(), "url", "payload")
     both.mapInArrow(run, _MANIFEST).write.mode("overwrite").parquet(f"{out}/manifest")
     return out
 
@@ -153,9 +157,9 @@ def read(spark: SparkSession, out: str, key: str = "page_id") -> DataFrame:
                         size = int(head.rpartition(b"Content-Length: ")[2])
                         digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:"))
                         if headers["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).digest() != digest):
-                            raise ValueError(f"record {headers['X-Record-Key']} doesn't match its digest")
-                        refers = headers.get("X-Refers-To-Key")
-                        rows.append((int(headers["X-Record-Key"]), size, digest.hex(), headers["WARC-Type"], None if refers is None else int(refers)))
+                            raise ValueError(f"record {headers['WARC-Record-ID']} doesn't match its digest")
+                        refers, own = headers.get("X-Refers-To-Key"), headers.get("X-Record-Key")
+                        rows.append((None if own is None else int(own), size, digest.hex(), headers["WARC-Type"], None if refers is None else int(refers)))
                         if len(rows) >= 10_000:
                             yield made(rows)
                             rows = []
