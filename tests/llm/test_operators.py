@@ -119,6 +119,28 @@ def test_url_rules_are_mined(spark):
     df = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(60)], "page_id long, blocked boolean")
     assert {r.page_id for r in urls.judge(df, labels, support=0.1).collect() if r.verdict == "block"} == set(range(0, 80, 4))
+    assert {r.verdict for r in urls.judge(df, labels, least=16).collect()} == {"allow"}
+
+
+def test_url_rules_hold_on_labels_they_were_not_mined_from(spark):
+    from pyspark.sql import functions as F
+
+    from weightloom.llm import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labels = {r.page_id: r.blocked for r in urls.html_labels(pages).collect()}
+    mined = spark.createDataFrame([(k, v) for k, v in labels.items() if k % 2], "page_id long, blocked boolean")
+    held = [r for r in urls.judge(pages, mined, least=4).collect() if r.page_id % 2 == 0 and r.mined is not None]
+    assert len(held) >= 30 and sum(labels[r.page_id] for r in held) >= 0.9 * len(held)
+    judged = queries.op4_url_filters(spark, "/root/testdata/sf0.1").filter(F.col("mined").isNotNull())
+    assert judged.filter("rule is null and verdict = 'block'").count() > 0
+
+
+def test_urls_without_rows_and_with_clashing_names(spark):
+    schema = "page_id long, url string, key string, tokens string, labelled int, blocked string, mined int"
+    assert urls.judge(spark.createDataFrame([], schema)).count() == 0
+    df = spark.createDataFrame([(1, "http://a.org/fr/" + "x/" * 20_000, "k", "t", 1, "b", 2)] * 2 + [(None, None, *[None] * 5)], schema)
+    assert sorted(r.verdict for r in urls.judge(df, spark.createDataFrame([(1, True), (1, False)], "page_id long, blocked boolean")).collect()) == ["allow"] * 3
 
 
 def test_licenses(docs, empty):
@@ -148,6 +170,27 @@ def test_suffixes_equal_brute_force(docs, empty, length):
     assert suffixes.clean(docs, length).columns == docs.columns
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1 << 15])
+def test_suffixes_over_parts_and_hot_groups(spark, hot):
+    rng = np.random.default_rng(hot)
+    words = [f"word{i} " for i in range(9)]
+    shared = "".join(rng.choice(words, 40))
+    texts = ["".join(rng.choice(words, n)) + shared[: rng.integers(0, 200)] + "ab" * int(rng.integers(0, 60)) for n in rng.integers(0, 60, 40)] + [shared] * 6
+    rows = [(int(k) if k % 9 else None, t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    first, last = {}, 1 << 63
+    for k, t in rows:
+        for at in range(len(t) - 49):
+            w = t[at : at + 50]
+            first[w] = min(first.get(w, last), last if k is None else k)
+    want = []
+    for k, t in rows:
+        gone = {i for at in range(len(t) - 49) if first[t[at : at + 50]] < (last if k is None else k) for i in range(at, at + 50)}
+        want.append((k, len(gone), hashlib.sha256("".join(c for i, c in enumerate(t) if i not in gone).encode()).hexdigest()))
+    got = [(r.doc_id, r.n_removed, r.kept_sha256) for r in suffixes.digests(df, 50, hot=hot).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_simhash_links_equal_brute_force(spark, distance):
     rng = np.random.default_rng(distance)
@@ -173,7 +216,38 @@ def test_media_is_lossless(docs, empty):
         want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(raw), len(want), hashlib.sha256(want).hexdigest())
         assert got[i].tail_crc32 == zlib.crc32(want[-64:])
-    assert got[4][1:] == got[10][1:] and media.digests(empty).count() == 0
+        frames, cut, spans, sound, digest = got[i].feature.split(":")
+        _, mel, found, _ = media.features(media.wav(want))
+        assert (int(frames), int(cut), int(spans)) == (len(mel), len(media.patches(mel)), len(found))
+        assert digest == hashlib.sha256(media.patches(mel).astype(np.float16).tobytes()).hexdigest()[:16]
+    assert got[4][1:-1] == got[10][1:-1] and media.digests(empty).count() == 0
+
+
+def test_patches_are_stored_with_time_spans(spark, docs):
+    out = media.store(docs)
+    rows = media.featured(spark, out).collect()
+    found = defaultdict(list)
+    for r in media.read_patches(spark, out, media.featured(spark, out)).collect():
+        found[r.key].append(r)
+    for r in rows:
+        mine = sorted(found[str(r.doc_id)], key=lambda x: x.patch)
+        raw = (TEXTS[r.doc_id] or "").encode()
+        _, mel, spans, step = media.features(media.wav(media.padded(raw)))
+        assert len(mine) == r.patches and [x.patch for x in mine] == list(range(r.patches))
+        assert np.array_equal(np.array([x.log_mel for x in mine], np.float32).reshape(-1, media.PATCH, media.MELS), media.patches(mel).astype(np.float16).astype(np.float32))
+        assert all(abs(x.end_s - x.start_s - media.PATCH * step) < 1e-9 for x in mine)
+        assert [x.sound for x in mine] == [any(a < x.end_s and b > x.start_s for a, b in spans) for x in mine]
+
+
+def test_log_mel_equals_its_definition():
+    x = np.random.default_rng(3).normal(size=1000).astype(np.float32)
+    got, bank = media.log_mel(x, 8000), media.filterbank(8000)
+    for f in range(len(got)):
+        frame = np.zeros(media.FRAME)
+        part = x[f * media.HOP : f * media.HOP + media.FRAME]
+        frame[: len(part)] = part
+        power = np.abs(np.fft.rfft(frame * np.hanning(media.FRAME))) ** 2
+        assert np.allclose(got[f], np.log10(power @ bank + 1e-10), atol=1e-3)
 
 
 @pytest.mark.parametrize("up, down", [(1, 2), (3, 2), (1, 1)])
@@ -186,21 +260,24 @@ def test_resampling_keeps_a_tone(up, down):
 
 def test_segments_by_hysteresis():
     energy = np.zeros(100)
-    energy[10:20], energy[15], energy[40:50] = 0.5, 2.0, 0.5
+    energy[10:20], energy[15], energy[40:50] = media.CLOSE + 0.05, 2.0, media.CLOSE + 0.05
     assert media.segments(energy) == [(10, 20)]
 
 
 def test_warc_round_trip(spark):
     big, other = "b" * 1500, "é" * 800
-    rows = [(1, "http://a/", big), (2, None, big), (3, "http://c/", "s"), (4, "x", "s"), (5, "u", None), (6, "v", big), (7, "w", other), (8, "w\r\nX: y", other)]
+    rows = [(1, "http://a/", big), (2, None, big), (3, "http://c/", "s"), (4, "x", "s"), (5, "u", None), (6, "v", big), (7, "w", other), (8, "w\r\nX: y", other), (None, "n", big), (None, "n", "only null" * 200), (None, "n2", "only null" * 200), (6, "v", "a second of six")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = warc.write(df, limit=200)
     got = {r.page_id: r for r in warc.read(spark, out).collect()}
-    for k, _, html in rows:
+    got, all_rows = {r.page_id: r for r in warc.read(spark, out).collect() if r.payload_bytes != 15}, warc.read(spark, out).collect()
+    for k, _, html in rows[:8]:
         raw = (html or "").encode()
         assert (got[k].payload_bytes, got[k].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-    assert {k: r.refers_to for k, r in got.items()} == {1: 6, 2: 6, 3: None, 4: None, 5: None, 6: None, 7: 8, 8: None}
-    assert {k for k, r in got.items() if r.record_type == "revisit"} == {1, 2, 7}
+    assert {k: r.refers_to for k, r in got.items() if k is not None} == {1: 6, 2: 6, 3: None, 4: None, 5: None, 6: None, 7: 8, 8: None}
+    assert {k for k, r in got.items() if r.record_type == "revisit" and k} == {1, 2, 7}
+    assert sorted((r.record_type, r.refers_to or 0) for r in all_rows if r.page_id is None) == [("response", 0), ("response", 0), ("revisit", 6)]
+    assert len(all_rows) == len(rows) and sum(r.page_id == 6 and r.record_type == "response" for r in all_rows) == 2
 
     def names(path):
         return sorted(r.name for r in spark.read.parquet(f"{path}/manifest").collect())
