@@ -20,7 +20,7 @@ from weightloom.runtime import ship
 
 MEAN = 65536
 #: Bytes hashed at a time, after the 64 that their hashes need.
-BLOCK = 4 << 20
+BLOCK = 1 << 16
 
 
 @lru_cache(maxsize=1)
