@@ -5,16 +5,21 @@ exact copies count once. Lines in over `min_docs` texts of a host, however many
 loses too much of itself is rejected. A `share` of the host's texts can be demanded besides. Of the texts that would
 be rejected for this alone, the one with the smallest key that holds a line keeps it, so one of near copies stays.
 
-Only DataFrame functions are used. A line counts once per text before anything is shuffled, and partial sums keep a
-frequent line from filling a task. Frequent lines, and those each text loses, are broadcast only if their measured
-number is below a bound, else joined.
-
-Null texts have no words and fail; an empty table gives an empty result; null hosts are a host of their own; repeated
-rows are judged alike; extra columns pass through `clean` and are dropped by `judge`.
+Only DataFrame functions are used. Texts are read once for all statistics, which are written as narrow rows; what
+follows works on these. A line counts once per text before anything is shuffled, and partial sums keep a frequent line
+from filling a task. Frequent lines, and the texts that lose some or go, are broadcast only if their measured number
+is below a bound, else joined by (host, hash), where a hot key is one row on its side, so the other can be split.
+Texts, lines and windows are compared by 64-bit hashes without a look at what was hashed.
+
+Null texts have no words and fail; a very long text is worked through whole; an empty table gives an empty result; null
+hosts are a host of their own; repeated rows are judged alike; of texts with equal keys that could keep a line, the
+smallest hash does. Extra columns, whatever their names, pass through `clean` and are dropped by `judge`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ from weightloom.llm.common import work_dir
 
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Lines, frequent or lost by texts, up to which they are broadcast: about 8 MB of hashes.
+#: Lines, frequent or lost by texts, up to which they are broadcast: at most about 100 MB with their hosts.
 BROADCAST_LINES = 1_000_000
 
 
@@ -81,12 +86,18 @@ def line_key(line: Column) -> Column:
     return F.when(line.rlike(WORD), F.xxhash64(F.lower(F.btrim(F.regexp_replace(line, GAP, " ")))))
 
 
-def texts_of(df: DataFrame, text: str, host: str, key: str) -> DataFrame:
-    """Rows (host, t, id, lines: [(k, n)]): each host's distinct texts by hash, their smallest key, and each line's hash and words."""
+def measured(df: DataFrame, text: str, host: str, key: str) -> DataFrame:
+    """Rows (id, host, t, statistics, base_failed, lines: [(k, n)]): what is needed of each row, with each line's hash and words."""
     t = F.coalesce(F.col(text), F.lit(""))
     found = F.transform(F.split(t, "\n"), lambda x: F.struct(line_key(x).alias("k"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    rows = df.select(F.col(host).alias("host"), F.xxhash64(t).alias("t"), (F.col(key) if key in df.columns else F.lit(0)).alias("id"), F.filter(found, lambda x: x["k"].isNotNull()).alias("lines"))
-    return rows.groupBy("host", "t").agg(F.min("id").alias("id"), F.first("lines").alias("lines"))
+    stats = statistics(F.col(text))
+    own = F.col(key) if key in df.columns else F.lit(0)
+    return df.select(own.alias("id"), F.col(host).alias("host"), F.xxhash64(t).alias("t"), *[c.alias(n) for n, c in stats.items()], F.filter(found, lambda x: x["k"].isNotNull()).alias("lines"))
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """Each host's distinct texts by hash, with the smallest id."""
+    return rows.groupBy("host", "t").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_words", "n_repeat_words", "lines")])
 
 
 def frequent_lines(texts: DataFrame, min_docs: int = 5, share: float = 0.0) -> DataFrame:
@@ -107,41 +118,42 @@ def side(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_LINES else df
 
 
-def total(df: DataFrame, column: Column) -> int:
-    return df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+class Judged:
+    """The narrow rows, each host's texts, and the lines that texts lose, as tables in the work folder."""
 
+    def __init__(self, df: DataFrame, min_docs: int, share: float, max_lost: float, text: str, host: str, key: str):
+        self.spark, self.path, self.max_lost = df.sparkSession, work_dir(df.sparkSession, "lines"), max_lost
+        self.rows = self.stored(measured(df, text, host, key), "rows")
+        self.texts = self.stored(texts_of(self.rows), "texts")
+        lines = self.stored(frequent_lines(self.texts, min_docs, share), "frequent")
+        spread = self.texts.select("host", "t", F.explode("lines").alias("x")).select("host", "t", F.col("x.k").alias("line"), F.col("x.n").alias("n")).alias("s")
+        hit = spread.join(side(lines, lines.count()).alias("f"), same("s", "f", "line")).groupBy("s.host", "s.t", "s.line").agg(F.sum("n").alias("n"))
+        hit = self.stored(hit, "hit")
+        losses = hit.groupBy("host", "t").agg(F.sum("n").alias("lost"))
+        # A line of a text that would go for its lost words stays in the one with the smallest key, so one of near copies stays.
+        poor = losses.alias("l").join(self.texts.alias("x"), same("l", "x", "t")).filter(~base_failed(lambda c: F.col(c)) & ~self.enough(F.col("n_words") - F.col("lost")))
+        poor = self.stored(poor.select("l.host", "l.t", "x.id"), "poor")
+        first = hit.alias("h").join(side(poor, poor.count()).alias("p"), same("h", "p", "t")).groupBy("h.host", "h.line").agg(F.min(F.struct("p.id", "h.t"))["t"].alias("t"))
+        lost = hit.alias("h").join(first.alias("f"), same("h", "f", "t", "line"), "left_anti").groupBy("host", "t").agg(F.collect_set("line").alias("frequent"), F.sum("n").alias("lost"))
+        self.lost = self.stored(lost, "lost")
 
-def marked(df: DataFrame, min_docs: int, share: float, max_lost: float, text: str, host: str, key: str) -> DataFrame:
-    """The rows with a column _frequent: the hashes of the lines that they lose."""
-    spark, path = df.sparkSession, work_dir(df.sparkSession, "lines")
+    def stored(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{path}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+    def enough(self, left: Column) -> Column:
+        return left >= (1 - self.max_lost) * F.col("n_words")
 
-    texts = stored(texts_of(df, text, host, key), "texts")
-    lines = stored(frequent_lines(texts, min_docs, share), "frequent")
-    spread = texts.select("host", "t", "id", F.aggregate("lines.n", F.lit(0), lambda a, x: a + x).alias("words"), F.explode("lines").alias("x")).select("host", "t", "id", "words", F.col("x.k").alias("line"), F.col("x.n").alias("n")).alias("s")
-    hit = spread.join(side(lines, lines.count()).alias("f"), same("s", "f", "line")).select("s.*")
-    hit = stored(hit.groupBy("host", "t").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.sum("n").alias("lost"), F.collect_set("line").alias("lines")), "hit")
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    # A line of a text that would go for its lost words stays in the one with the smallest key, so one of near copies stays.
-    poor = hit.filter(F.col("words") - F.col("lost") < (1 - max_lost) * F.col("words")).filter("words >= 20")
-    rows = df.select(F.col(host).alias("host"), own.alias("t"), F.col(text).alias("text")).alias("r")
-    rows = rows.join(side(poor.select("host", "t"), poor.count()).alias("p"), same("r", "p", "t")).select("r.*")
-    sound = rows.filter(~base_failed({k: statistics(F.col("text"))[k] for k in ("n_words", "n_repeat_words")})).select("host", "t").distinct()
-    sound = stored(sound, "sound")
-    poor = poor.alias("p").join(sound.alias("r"), same("p", "r", "t"), "left_semi")
-    first = poor.select("host", "t", "id", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.min(F.struct("id", "t"))["t"].alias("t"))
-    held = first.groupBy("host", "t").agg(F.collect_set("line").alias("held")).alias("h")
-    lost = hit.alias("x").join(held, same("x", "h", "t"), "left").select("x.host", "x.t", F.array_except("lines", F.coalesce("held", F.array().cast("array<bigint>"))).alias("frequent"))
-    lost = stored(lost.filter(F.size("frequent") > 0), "lost")
-    found = side(lost.select(F.col("host").alias("_host"), F.col("t").alias("_t"), F.col("frequent").alias("_frequent")), total(lost, F.size("frequent")))
-    return df.withColumn("_own", own).join(found, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_own") == F.col("_t")), "left").drop("_host", "_t", "_own")
+    def verdicts(self, rows: DataFrame) -> DataFrame:
+        """The rows (host, t, ...) with frequent (the lines they lose), n_words_left, base_failed and kept."""
+        n = self.lost.agg(F.coalesce(F.sum(F.size("frequent")), F.lit(0))).first()[0]
+        found = rows.alias("r").join(side(self.lost, n).alias("l"), same("r", "l", "t"), "left").select("r.*", "l.frequent", (F.col("r.n_words") - F.coalesce("l.lost", F.lit(0))).alias("n_words_left"))
+        found = found.withColumn("base_failed", base_failed(lambda c: F.col(c)))
+        return found.withColumn("kept", ~F.col("base_failed") & self.enough(F.col("n_words_left")))
 
 
-def base_failed(found: dict[str, Column]) -> Column:
-    return (found["n_words"] < 20) | (100 * found["n_repeat_words"] > 30 * found["n_words"])
+def base_failed(column) -> Column:
+    return (column("n_words") < 20) | (100 * column("n_repeat_words") > 30 * column("n_words"))
 
 
 def kept_text(text: Column, frequent: Column) -> Column:
@@ -153,23 +165,20 @@ def kept_text(text: Column, frequent: Column) -> Column:
     return F.when(frequent.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
 
 
-def judged(df: DataFrame, min_docs: int, share: float, max_lost: float, text: str, host: str, key: str) -> DataFrame:
-    rows = marked(df, min_docs, share, max_lost, text, host, key)
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumn("_clean", kept_text(t, F.col("_frequent"))).withColumns({f"_{k}": c for k, c in statistics(F.col(text)).items()})
-    left = F.when(F.col("_frequent").isNull(), F.col("_n_words")).otherwise(F.regexp_count(F.col("_clean"), F.lit(WORD)))
-    failed = base_failed({k: F.col(f"_{k}") for k in ("n_words", "n_repeat_words")})
-    rows = rows.withColumn("_base_failed", failed).withColumn("_left", left.cast("long"))
-    return rows.withColumn("_kept", ~F.col("_base_failed") & (F.col("_left") >= (1 - max_lost) * F.col("_n_words")))
-
-
 def judge(df: DataFrame, min_docs: int = 5, share: float = 0.0, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_words_left)."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged(df, min_docs, share, max_lost, text, host, key).select(key, *[F.col(f"_{n}").alias(n) for n in names], F.col("_left").alias("n_words_left"))
+    j = Judged(df, min_docs, share, max_lost, text, host, key)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left"]
+    return j.verdicts(j.rows.drop("lines")).select(F.col("id").alias(key), *names)
 
 
 def clean(df: DataFrame, min_docs: int = 5, share: float = 0.0, max_lost: float = 0.75, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows kept, in the table's own columns, without their frequent lines."""
-    rows = judged(df, min_docs, share, max_lost, text, host, key).filter("_kept")
-    return rows.select(*[F.col("_clean").alias(c) if c == text else F.col(c) for c in df.columns])
+    j = Judged(df, min_docs, share, max_lost, text, host, key)
+    changed = j.stored(j.verdicts(j.texts.drop("lines")).filter("not kept or frequent is not null").select("host", "t", "kept", "frequent"), "changed")
+    own = f"t_{uuid.uuid4().hex}"
+    rows = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("r")
+    n = changed.agg(F.coalesce(F.sum(1 + F.coalesce(F.size("frequent"), F.lit(0))), F.lit(0))).first()[0]
+    same_text = F.col(f"r.{host}").eqNullSafe(F.col("c.host")) & (F.col(f"r.{own}") == F.col("c.t"))
+    rows = rows.join(side(changed, n).alias("c"), same_text, "left").filter(F.coalesce(F.col("c.kept"), F.lit(True)))
+    return rows.select(*[kept_text(F.col(f"r.{c}"), F.col("c.frequent")).alias(c) if c == text else F.col(f"r.{c}") for c in df.columns])
