@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: work folders, shipping of code to executors, Arrow helpers."""
+"""What the operators of this subpackage share: tables, files sent to executors, Arrow helpers."""
 
 from __future__ import annotations
 
@@ -7,18 +7,17 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from weightloom.runtime import open_fs, shared_dir, ship, work_dir
+
+__all__ = ["documents", "open_fs", "pages", "shared_dir", "ship", "ship_file", "shipped", "shuffle_partitions", "slices", "spread", "work_dir"]
 #: Bytes of text that one Arrow batch handed to Python may hold; Spark also limits rows.
 BATCH_BYTES = 8 << 20
-_OWN = "/tmp/checkpoints/weightloom"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,46 +28,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = f"file://{_OWN}"
-    os.makedirs(_OWN, exist_ok=True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under shared_dir. Results are read from it lazily, so only a private local one is removed, at exit."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if path.startswith(f"file://{_OWN}/"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    return path
-
-
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI, or of a plain path, which is local."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_weightloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="weightloom-")) / "weightloom.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(str(target))
-    sc._weightloom_shipped = True
-    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
-
-
 def ship_file(spark: SparkSession, path: str) -> str:
     """Send a local file to the executors once; returns the name by which `shipped` finds it there."""
     sc = spark.sparkContext

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weightloom.llm import bpe, licenses, media, packing, quality, simhash, suffixes, token_files, urls, warc
+from weightloom.llm import bpe, licenses, media, oracles, packing, quality, simhash, suffixes, token_files, urls, warc
 from weightloom.llm.common import documents, pages
 
 #: Where the vocabularies lie; a parameter of the operators.
@@ -57,4 +57,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_packing, op4_url_filters, op5_license_scan, op6_suffix_dedup, op7_token_files, op8_simhash, op9_media, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
