@@ -42,7 +42,7 @@ from pyspark.sql.types import StructType
 from weightloom.llm.common import open_fs, ship, shuffle_partitions, slices, spread, work_dir
 
 #: Bytes of the shortest string whose hashes are minimizers, of a block, and of texts cut at a time.
-GRAM, BLOCK, STRETCH, LAST = 16, 1 << 18, 1 << 20, (1 << 63) - 1
+GRAM, BLOCK, STRETCH, LAST = 16, 1 << 19, 1 << 20, (1 << 63) - 1
 #: Places of a minimizer from which its windows are dealt one by one; bytes of hashes in a bucket; of pieces sent at a time.
 HOT, BUCKET, SENT = 1 << 15, 8 << 20, 8 << 20
 #: Bytes of pieces that a task groups.
@@ -184,16 +184,46 @@ def equal_runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def runs(values: np.ndarray, high: int) -> list[tuple[int, int, int]]:
-    """Runs (start, n, first) of windows with one first document below `high`."""
-    return [(a, b - a, int(values[a])) for a, b in equal_runs(values) if values[a] < high]
+def runs(first: np.ndarray, pieces: list[bytes], high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, rows): runs of windows with one first document below the piece's largest key, in order of the pieces."""
+    sizes = np.array([len(x) + 1 for x in pieces])
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (piece[1:] != piece[:-1])])
+    heads = np.flatnonzero(new)
+    n = np.diff(np.append(heads, len(first)))
+    stays = first[heads] < high[piece[heads]]
+    heads, n = heads[stays], n[stays]
+    rows = np.empty(len(heads), _FOUND)
+    rows["piece"], rows["start"], rows["n"], rows["first"] = 0, heads - (np.cumsum(sizes) - sizes)[piece[heads]], n, first[heads]
+    return piece[heads], rows
+
+
+def bounds_of(ids: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest key of each id below n; each id occurs."""
+    order = np.argsort(ids, kind="stable")
+    heads = np.searchsorted(ids[order], np.arange(n))
+    keys = keys[order]
+    return np.minimum.reduceat(keys, heads).astype("<i8"), np.maximum.reduceat(keys, heads).astype("<i8")
+
+
+def windows_of(of: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, split: np.ndarray, raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces, those marked cut into their windows, each with a hash of its own as its group."""
+    n = np.where(split, end - start - length + 1, 1)
+    which = np.repeat(np.arange(len(of)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    of, cut, start, h = of[which], split[which], start[which] + step, h[which]
+    end = np.where(cut, start + length, end[which])
+    for i in np.flatnonzero(cut).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raws[of[i]][start[i] : end[i]])
+    return of, start, end, h
 
 
 class Parts:
     """The rows as files in the shared folder, one for each part, and the steps over them."""
 
-    def __init__(self, df: DataFrame, length: int, key: str, text: str):
+    def __init__(self, df: DataFrame, length: int, key: str, text: str, hot: int = HOT):
         self.spark: SparkSession = df.sparkSession
+        self.hot = hot
         ship(self.spark)
         self.length, self.gram, self.text = length, max(GRAM, length // 3), text
         if length < GRAM:
@@ -223,6 +253,7 @@ class Parts:
     def live(self) -> DataFrame:
         """Rows (p, hashes, hot): the minimizers of part p that two documents hold, packed, and whether they are hot."""
         read, k, text, length, gram = self.reader(), self.k, self.text, self.length, self.gram
+        limit = self.hot
         n_buckets = max(shuffle_partitions(self.spark), -(-self.n_bytes * 16 // ((length - gram + 1) * BUCKET)))
 
         def dealt(p: int, hashes: np.ndarray, counts: np.ndarray, several: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -283,7 +314,7 @@ class Parts:
             new = np.concatenate([[True], h[1:] != h[:-1]])
             heads = np.flatnonzero(new)
             many = (np.diff(np.append(heads, len(h))) > 1) | np.logical_or.reduceat(kind, heads)
-            hot = np.add.reduceat(n.astype(np.int64), heads) > HOT
+            hot = np.add.reduceat(n.astype(np.int64), heads) > limit
             number = np.cumsum(new) - 1
             stays = many[number]
             h, p, hot = h[stays], p[stays], hot[number][stays]
@@ -311,53 +342,50 @@ class Parts:
 
         def of_part(p: int, live: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
             held: dict[bytes, int] = {}
-            group, low, high, places, size, number, seen = [], [], [], [], 0, 0, 0
+            group, ids, keyed, places, size, number, seen = [], [], [], [], 0, 0, 0
 
             def sent() -> pa.RecordBatch:
-                g, pieces = np.array(group, np.uint64), list(held)
+                nonlocal number
+                g, names = np.array(group, np.uint64), list(held)
+                low, high = bounds_of(np.array(ids), np.concatenate(keyed), len(names))
                 bucket = bucket_of(g, n_groups)
                 order = np.argsort(bucket, kind="stable")
-                bucket, numbers = bucket[order], np.arange(number - len(held), number, dtype="<i4")
-                blocks, edges = [], equal_runs(bucket)
+                bucket, blocks, edges = bucket[order], [], equal_runs(bucket[order])
                 for lo, hi in edges:
                     i = order[lo:hi]
-                    these = [pieces[x] for x in i.tolist()]
-                    arrays = (g[i], np.array(low, "<i8")[i], np.array(high, "<i8")[i], numbers[i], np.array([len(x) for x in these], "<i4"))
+                    these = [names[x] for x in i.tolist()]
+                    arrays = (g[i], low[i], high[i], (number + i).astype("<i4"), np.array([len(x) for x in these], "<i4"))
                     blocks.append(zstandard.compress(b"".join([np.array([len(i)], "<i8").tobytes(), *(x.tobytes() for x in arrays), *these]), 3))
+                number += len(names)
                 return pa.RecordBatch.from_arrays([pa.array(bucket[[lo for lo, _ in edges]].astype(np.int32)), pa.array(np.full(len(edges), p, np.int32)), pa.array(blocks, pa.binary())], ["bucket", "p", "block"])
 
-            def put(piece: bytes, g: int, key: int) -> int:
-                nonlocal number, size
-                i = held.get(piece)
-                if i is None:
-                    i = held[piece] = len(held)
-                    group.append(g)
-                    low.append(key)
-                    high.append(key)
-                    number, size = number + 1, size + len(piece)
-                elif key < low[i]:
-                    low[i] = key
-                elif key > high[i]:
-                    high[i] = key
-                return number - len(held) + i
-
             for whole in read(p, [k, text]):
                 for b in slices(whole, text, STRETCH):
-                    raws, keys = [(x or "").encode() for x in b.column(text).to_pylist()], b.column(k).to_pylist()
+                    raws, keys = [(x or "").encode() for x in b.column(text).to_pylist()], np.array(b.column(k).to_pylist(), np.int64)
                     for of, start, end, h in cut(raws, length, gram):
                         at = np.minimum(np.searchsorted(live, h), len(live) - 1)
                         pick = np.flatnonzero(live[at] == h)
-                        for t, a, e, g, split in zip(of[pick].tolist(), start[pick].tolist(), end[pick].tolist(), h[pick].tolist(), hot[at[pick]].tolist(), strict=True):
-                            raw = raws[t]
-                            if not split:
-                                places.append((seen + t, a, put(raw[a:e], g, keys[t])))
-                                continue
-                            for s in range(a, e - length + 1):
-                                window = raw[s : s + length]
-                                places.append((seen + t, s, put(window, xxhash.xxh3_64_intdigest(window), keys[t])))
+                        split = hot[at[pick]]
+                        if split.any():
+                            of, start, end, h = windows_of(of[pick], start[pick], end[pick], h[pick], split, raws, length)
+                        else:
+                            of, start, end, h = of[pick], start[pick], end[pick], h[pick]
+                        first = len(ids)
+                        for t, a, e, g in zip(of.tolist(), start.tolist(), end.tolist(), h.tolist(), strict=True):
+                            piece = raws[t][a:e]
+                            i = held.get(piece)
+                            if i is None:
+                                i = held[piece] = len(held)
+                                group.append(g)
+                                size += e - a
+                            ids.append(i)
+                        keyed.append(keys[of])
+                        place = np.empty(len(of), _PLACE)
+                        place["row"], place["at"], place["piece"] = seen + of, start, number + np.array(ids[first:], np.int64)
+                        places.append(place)
                         if size >= SENT:
                             yield sent()
-                            held, group, low, high, size = {}, [], [], [], 0
+                            held, group, ids, keyed, size = {}, [], [], [], 0
                     seen += len(raws)
             if held:
                 yield sent()
@@ -365,7 +393,7 @@ class Parts:
             fs.create_dir(at, recursive=True)
             name = f"{at}/{uuid.uuid4().hex}.tmp"
             with fs.open_output_stream(name, compression=None) as f:
-                f.write(zstandard.compress(np.array(places, _PLACE).tobytes(), 3))
+                f.write(zstandard.compress((np.concatenate(places) if places else np.empty(0, _PLACE)).tobytes(), 3))
             fs.move(name, f"{at}/{p:08d}")
 
         found = self.live().repartitionById(max(1, len(self.files)), "p")
@@ -380,31 +408,6 @@ class Parts:
         length = self.length
 
         def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, block, size, now = {}, [], 0, None
-
-            def worked() -> Iterator[pa.RecordBatch]:
-                first = first_documents([p for p, _ in block], [x[0] for _, x in block], [x[1] for _, x in block], length)
-                owners, rows, at = [], [], 0
-                for piece, (_, high, holders) in block:
-                    r = runs(first[at : at + len(piece) - length + 1], high)
-                    at += len(piece) + 1
-                    for p, number in holders if r else ():
-                        owners += [p] * len(r)
-                        rows += [(number, *x) for x in r]
-                if rows:
-                    owners, rows = np.array(owners, np.int32), np.array(rows, _FOUND)
-                    order = np.argsort(owners, kind="stable")
-                    owners, rows = owners[order], rows[order]
-                    edges = equal_runs(owners)
-                    packed = [rows[lo:hi].tobytes() for lo, hi in edges]
-                    yield pa.RecordBatch.from_arrays([pa.array(owners[[lo for lo, _ in edges]]), pa.array(packed, pa.binary())], ["p", "found"])
-
-            def ended() -> int:
-                if not group or min(x[0] for x in group.values()) == max(x[1] for x in group.values()):
-                    return 0
-                block.extend(group.items())
-                return sum(len(p) + 1 for p in group)
-
             arrays, bodies, owners = [], [], []
             for b in batches:
                 for p, packed in zip(b.column("p").to_pylist(), b.column("block").to_pylist(), strict=True):
@@ -423,23 +426,37 @@ class Parts:
             body, p = b"".join(bodies), np.concatenate(owners)
             del arrays, bodies, owners
             order = np.argsort(g, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+            many = np.minimum.reduceat(low[order], heads) != np.maximum.reduceat(high[order], heads)
+            order = order[np.repeat(many, np.diff(np.append(heads, len(order))))]
             ends = np.cumsum(size_of, dtype=np.int64)
             starts = ends - size_of
-            for i in range(0, len(order), 1 << 14):
-                part = order[i : i + (1 << 14)]
-                for h, a, e, lo, hi, q, m in zip(*(x[part].tolist() for x in (g, starts, ends, low, high, p, number)), strict=True):
-                    if h != now:
-                        size += ended()
-                        group, now = {}, h
-                        if size >= BLOCK:
-                            yield from worked()
-                            block, size = [], 0
-                    x = group.setdefault(body[a:e], [lo, hi, []])
-                    x[0], x[1] = min(x[0], lo), max(x[1], hi)
-                    x[2].append((q, m))
-            ended()
-            if block:
-                yield from worked()
+            # Whole groups up to BLOCK bytes together; a larger one alone.
+            total = np.cumsum(size_of[order], dtype=np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+            before = total[heads] - size_of[order][heads]
+            for lo, hi in equal_runs(before // BLOCK):
+                rows = order[heads[lo] : heads[hi] if hi < len(heads) else len(order)]
+                seen: dict[bytes, int] = {}
+                ids = np.array([seen.setdefault(body[a:e], len(seen)) for a, e in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)])
+                names = list(seen)
+                least, most = bounds_of(ids, low[rows], len(names))[0], bounds_of(ids, high[rows], len(names))[1]
+                first = first_documents(names, least, most, length)
+                yield from answered(*runs(first, names, most), ids, p[rows], number[rows])
+
+        def answered(piece: np.ndarray, rows: np.ndarray, ids: np.ndarray, owners: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Each piece's runs for all parts that hold it."""
+            lo, hi = (np.searchsorted(piece, ids, side=s) for s in ("left", "right"))
+            n = hi - lo
+            if not n.sum():
+                return
+            which = np.repeat(np.arange(len(ids)), n)
+            out = rows[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+            out["piece"], owner = numbers[which], owners[which]
+            order = np.argsort(owner, kind="stable")
+            out, owner = out[order], owner[order]
+            edges = equal_runs(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[[a for a, _ in edges]]), pa.array([out[a:b].tobytes() for a, b in edges], pa.binary())], ["p", "found"])
 
         dealt = self.pieces().repartitionById(self.n_groups(), "bucket")
         dealt.mapInArrow(expand, "p int, found binary").write.parquet(f"{self.base}/found")
@@ -502,10 +519,10 @@ def kept(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (key, n_bytes, n_removed, n_spans, kept_sha256)."""
     kind = df.schema[key].dataType.simpleString()
-    parts = Parts(df.select(F.col(key).alias("key"), F.col(text).alias("text")), length, "key", "text")
+    parts = Parts(df.select(F.col(key).alias("key"), F.col(text).alias("text")), length, "key", "text", hot)
 
     def work(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         out = []
@@ -518,9 +535,9 @@ def digests(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "t
     return parts.mapped(work, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["key", "text"]).withColumnRenamed("key", key)
 
 
-def clean(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """All rows in the table's own columns; of a character that is cut in part, nothing stays. Null texts stay null."""
-    parts = Parts(df, length, key, text)
+    parts = Parts(df, length, key, text, hot)
     schema = to_arrow_schema(df.schema)
 
     def work(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
