@@ -3,9 +3,9 @@
 A pre-token is looked up in two tiers. A minimal perfect hash (hash and displace) over the vocabulary
 resolves pre-tokens that are tokens themselves; the others go through a heap of candidate merges over
 linked bytes, O(n log n) in the pre-token's bytes. What was resolved lately is remembered in two
-generations of bounded size, so memory doesn't grow with the corpus.
+generations of bounded number, pre-tokens over LONGEST bytes excepted, so memory doesn't grow with the corpus.
 
-Null texts count as empty; an empty text has no ids. Repeated rows give repeated results, extra input
+Null texts count as empty; an empty text has no ids; a very long one is encoded whole. Of equal ranks the leftmost pair merges first. Repeated rows give repeated results, extra input
 columns are ignored, an empty table gives an empty result.
 """
 
@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weightloom.llm.common import ship, slices
+from weightloom.llm.common import ship, slices, spread
 
 #: Pre-tokens in one generation of the memory.
 GENERATION = 250_000
+#: Bytes of the longest pre-token that is remembered.
+LONGEST = 64
 #: Odd multipliers that mix a hash with a displacement.
 SALT, MIX, _64 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -150,6 +152,8 @@ class Resolved(dict):
             k = self.table.find(raw)
             found = [self.ids[k]] if k >= 0 else merge(raw, self.ranks)
             packed = np.array(found, "<u4").tobytes()
+            if len(raw) > LONGEST:
+                return packed
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -185,7 +189,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, ids): every text's ids as packed little-endian unsigned 32-bit integers. No shuffle."""
+    """Rows (key, ids): every text's ids as packed little-endian unsigned 32-bit integers. No shuffle, unless the input has fewer splits than cores."""
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
@@ -196,7 +200,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
                 ids = [c.encode(t or "") for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids binary")
+    out = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, ids binary")
     return out.withColumnRenamed("key", key)
 
 
@@ -231,5 +235,5 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
                 n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)

@@ -5,8 +5,8 @@ sequence takes, of the examples that fit whole, that with the largest dot produc
 both relative to the limits; where none fits, the one of the largest product is cut to fill the room, unless examples
 are to stay whole. Of equal products the first row's is taken. Examples longer than a sequence are cut beforehand.
 
-Each task packs the rows of its own input split, block by block (bounded tokens and pieces), so nothing is shuffled and
-a repeated task gives the same sequences. A sequence that a block leaves open goes on in the next one; only the last of
+Each task packs the rows of its own input split, block by block (bounded tokens and pieces), so nothing is shuffled
+unless there are fewer splits than cores, and a repeated task gives the same sequences. A sequence that a block leaves open goes on in the next one; only the last of
 a task is cut at powers of two, which need no padding.
 
 `pack_texts` takes whole texts, whose tokens all bear loss. `pack_examples` takes instruction data: parts with a mark
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weightloom.llm import subwords
-from weightloom.llm.common import ship, slices
+from weightloom.llm.common import ship, slices, spread
 
 #: Pieces and tokens in a block.
 BLOCK_PIECES, BLOCK_TOKENS = 2048, 4 << 20
@@ -205,4 +205,4 @@ def packed(rows: DataFrame, read: Read, key: str, tokens: int, segments: int, lo
             yield from out(done + ended(rest, tokens, whole))
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids binary" * with_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -8,7 +8,7 @@ Equal fingerprints are one node, named by their smallest key, before the join; s
 from passing on smallest labels and jumping along them until nothing changes; each round is written to the shared
 folder, so lost executors don't recompute the rounds before.
 
-Null and empty texts have the fingerprint zero. Repeated rows get equal rows; extra columns are ignored; an empty
+Null and empty texts have the fingerprint zero; a very long text's shingles are counted block by block. Repeated rows get equal rows; extra columns are ignored; an empty
 table gives an empty result. Null keys get their fingerprint's component, or null if it is theirs alone.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weightloom.llm.common import ship, slices, work_dir
+from weightloom.llm.common import ship, slices, spread, work_dir
 
 _WORDS = regex.compile(r"[^\x20\x09-\x0D]+").findall
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, bits): each text's fingerprint as a signed long. No shuffle."""
+    """Rows (key, bits): each text's fingerprint as a signed long. No shuffle, unless the input has fewer splits than cores."""
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, shingle: int = 3, key: str = "doc_id", text: str
                 bits = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(bits, pa.int64())], ["key", "bits"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, bits long").withColumnRenamed("key", key)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, bits long").withColumnRenamed("key", key)
 
 
 def links(nodes: DataFrame, distance: int = 2) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weightloom.llm import subwords
-from weightloom.llm.common import open_fs, ship, shuffle_partitions, slices, work_dir
+from weightloom.llm.common import open_fs, ship, shuffle_partitions, slices, spread, work_dir
 
 _MANIFEST = "part int, number int, name string, kind string, n_docs long, n_tokens long"
 #: Bytes of ids after which a file is closed, and documents whose index is held at a time.
@@ -91,7 +91,7 @@ def write(df: DataFrame, tokenizer: str, out: str | None = None, key: str = "doc
         if data is not None:
             yield close()
 
-    dealt = rows.mapInArrow(encode, "part int, key long, h long, ids binary").repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", "h")
+    dealt = spread(rows).mapInArrow(encode, "part int, key long, h long, ids binary").repartitionById(len(bounds) + 1, "part").sortWithinPartitions("key", "h")
     dealt.select("key", "ids").mapInArrow(store, _MANIFEST).write.mode("overwrite").parquet(f"{out}/manifest")
     return out
 
