@@ -201,6 +201,15 @@ def test_simhash_links_equal_brute_force(spark, distance):
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
+def test_simhash_variants_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    joined = simhash.links(spark.range(1000).select(F.col("id").alias("node"), F.xxhash64("id").alias("bits")))
+    assert joined.count() == 0
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_groups(spark, docs, empty):
     got = by_id(simhash.near_duplicates(docs))
     assert got[0].fingerprint == "0" * 16 and got[1].component_id == got[3].component_id == 0

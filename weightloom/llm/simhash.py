@@ -2,7 +2,8 @@
 
 A 64-bit fingerprint is cut into two halves. Of two fingerprints that differ in at most three bits, one half differs in
 at most one. Each half is indexed under 32 variants, each with one bit cleared; an equality join on (half, bit, variant)
-brings candidates together, and the join's condition verifies the distance and lets each link through once.
+brings candidates together, and the join's condition verifies the distance and lets each link through once. The join is
+always by sorting, as its rows are many more than Spark expects.
 
 Equal fingerprints are one node, named by their smallest key, before the join; so copies make no pairs. Components come
 from passing on smallest labels and jumping along them until nothing changes; each round is written to the shared
@@ -81,7 +82,8 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     near = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= distance
     first = (F.col("x.half") == 0) | (low_diff > 1)
     same = (F.col("x.half") == F.col("y.half")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.variant") == F.col("y.variant"))
-    return x.join(y, same & (F.col("x.node") < F.col("y.node")) & near & once(differs) & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # Spark estimates the variants by the size of the fingerprints, a 64th of their rows; so it would send them all through the driver.
+    return x.hint("merge").join(y.hint("merge"), same & (F.col("x.node") < F.col("y.node")) & near & once(differs) & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
