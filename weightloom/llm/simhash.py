@@ -32,21 +32,29 @@ _UPPER = {c: c + 32 for c in range(65, 91)}
 STEP = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The signed 64-bit fingerprint of a text."""
+def hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """The unsigned hashes of a text's shingles, repeats included."""
     found = _WORDS((text or "").translate(_UPPER))
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(found) < shingle:
         parts = [" ".join(found)]
     else:
         parts = list(map(" ".join, zip(*(found[i:] for i in range(shingle)), strict=False)))
+    return np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of a text's hashes: the bits that over half of them have."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(parts), STEP):
-        block = parts[at : at + STEP]
-        h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in block), np.uint64, len(block))
-        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(parts)).view(">u8")[0].astype(np.int64))
+    for at in range(0, len(h), STEP):
+        counts += np.unpackbits(h[at : at + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h)).view(">u8")[0].astype(np.int64))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The signed 64-bit fingerprint of a text."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(df: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
